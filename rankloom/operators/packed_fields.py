@@ -24,8 +24,8 @@ from pyspark.sql import functions as F
 
 _OPEN, _CLOSE = {"[": "]", "{": "}"}, {"]", "}"}
 _HARD = frozenset(";|\n\r\t·•/")
-_STOP = re.compile(r"[\\\"'\[\]{};,|\n\r\t·•/]|\s(?:and|und|et|y|e|&)\s", re.I)
-_WORDS = re.compile(r"\s(and|und|et|y|e|&)\s", re.I)
+_STOP = re.compile(r"[\\\"'\[\]{};,|\n\r\t·•/]|\s(?:[aA][nN][dD]|und|et|y|e|&)\s")
+_WORDS = re.compile(r"\s([aA][nN][dD]|und|et|y|e|&)\s")
 _ESCAPE = {"n": "\n", "t": "\t", "r": "\r", "b": "\b", "f": "\f"}
 
 
