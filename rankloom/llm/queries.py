@@ -6,14 +6,22 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from rankloom.llm.canonical_map import map_to_list
 from rankloom.llm.corpus_tokens import encode_corpus
 from rankloom.plans.session import table
 
 
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The journal meant by each typed journal name, or ``unmatched``."""
+    names, journals = table(spark, sf_dir, "scopus_entries"), table(spark, sf_dir, "ranking_entries")
+    found = map_to_list(names, "entry_id", "prism_publicationname", ["prism_issn", "prism_eissn"], journals, "venue_key", "title", ["issn_print", "issn_online", "issn_l"])
+    return found.select(found["row_id"].alias("entry_id"), found["key"].alias("venue_key"))
+
+
 def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The ids of every document by the public byte-level vocabulary."""
     return encode_corpus(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p8_ids": p8_ids}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p6_found": p6_found, "p8_ids": p8_ids}
 ORACLES: dict[str, str] = {}
