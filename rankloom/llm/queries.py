@@ -5,12 +5,32 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from rankloom.llm.canonical_map import map_to_list
 from rankloom.llm.corpus_tokens import encode_corpus
+from rankloom.llm.name_variants import link_names, variant_pairs
 from rankloom.plans.session import table
 
 
+def _publishers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    extra = F.col("extra")
+    paths = {"source_publisher": "$.openalex.primary_location.source.publisher", "host_publisher": "$.openalex.host_venue.publisher", "core_publisher": "$.core.publisher"}
+    return table(spark, sf_dir, "search_records").select(*[F.get_json_object(extra, path).alias(name) for name, path in paths.items()])
+
+
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of publisher spellings that name one organisation."""
+    publishers = _publishers(spark, sf_dir)
+    return variant_pairs(link_names(publishers, publishers.columns))
+
+
+def p5_orgs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every publisher spelling with its organisation."""
+    publishers = _publishers(spark, sf_dir)
+    return link_names(publishers, publishers.columns)
+
+
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The journal meant by each typed journal name, or ``unmatched``."""
     names, journals = table(spark, sf_dir, "scopus_entries"), table(spark, sf_dir, "ranking_entries")
@@ -23,5 +43,5 @@ def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_corpus(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p6_found": p6_found, "p8_ids": p8_ids}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p5_found": p5_found, "p5_orgs": p5_orgs, "p6_found": p6_found, "p8_ids": p8_ids}
 ORACLES: dict[str, str] = {}
