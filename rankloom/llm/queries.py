@@ -9,10 +9,28 @@ from pyspark.sql import functions as F
 
 from rankloom.llm.canonical_map import map_to_list
 from rankloom.llm.corpus_tokens import encode_corpus
+from rankloom.llm.mojibake import repair
 from rankloom.llm.name_variants import link_names, variant_pairs
 from rankloom.plans.session import table
 
 
+def _titles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    records, mangled = table(spark, sf_dir, "search_records"), table(spark, sf_dir, "scopus_mangled_title")
+    first = records.select(F.lit("search_records").alias("src_table"), F.col("record_id").alias("row_id"), F.col("title").alias("text"))
+    return first.unionByName(mangled.select(F.lit("scopus_mangled_title").alias("src_table"), F.col("title_id").alias("row_id"), F.col("title").alias("text")))
+
+
+def p3_restored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows with a spoilt title, how it was spoilt, and the title as it was written where it can be had."""
+    titles = _titles(spark, sf_dir)
+    return repair(titles, titles.select("text"))
+
+
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows with a spoilt title."""
+    return p3_restored(spark, sf_dir).select("src_table", "row_id")
+
+
 def _publishers(spark: SparkSession, sf_dir: str) -> DataFrame:
     extra = F.col("extra")
     paths = {"source_publisher": "$.openalex.primary_location.source.publisher", "host_publisher": "$.openalex.host_venue.publisher", "core_publisher": "$.core.publisher"}
@@ -43,5 +61,5 @@ def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_corpus(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p5_found": p5_found, "p5_orgs": p5_orgs, "p6_found": p6_found, "p8_ids": p8_ids}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p3_found": p3_found, "p3_restored": p3_restored, "p5_found": p5_found, "p5_orgs": p5_orgs, "p6_found": p6_found, "p8_ids": p8_ids}
 ORACLES: dict[str, str] = {}
