@@ -11,6 +11,7 @@ from rankloom.llm.canonical_map import map_to_list
 from rankloom.llm.corpus_tokens import encode_corpus
 from rankloom.llm.mojibake import repair
 from rankloom.llm.name_variants import link_names, variant_pairs
+from rankloom.llm.response_defects import judge, one_each
 from rankloom.plans.session import table
 
 
@@ -31,6 +32,17 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p3_restored(spark, sf_dir).select("src_table", "row_id")
 
 
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The successful answers that are no proper answers, with their type of defect."""
+    pairs = table(spark, sf_dir, "provider_responses").where("success")
+    return one_each(judge(pairs)).withColumnRenamed("row_id", "resp_id")
+
+
+def p4_defects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every defect of every answer with its posterior; an answer may have several."""
+    return judge(table(spark, sf_dir, "provider_responses").where("success")).withColumnRenamed("row_id", "resp_id")
+
+
 def _publishers(spark: SparkSession, sf_dir: str) -> DataFrame:
     extra = F.col("extra")
     paths = {"source_publisher": "$.openalex.primary_location.source.publisher", "host_publisher": "$.openalex.host_venue.publisher", "core_publisher": "$.core.publisher"}
@@ -61,5 +73,5 @@ def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_corpus(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p3_found": p3_found, "p3_restored": p3_restored, "p5_found": p5_found, "p5_orgs": p5_orgs, "p6_found": p6_found, "p8_ids": p8_ids}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p3_found": p3_found, "p3_restored": p3_restored, "p4_found": p4_found, "p4_defects": p4_defects, "p5_found": p5_found, "p5_orgs": p5_orgs, "p6_found": p6_found, "p8_ids": p8_ids}
 ORACLES: dict[str, str] = {}
