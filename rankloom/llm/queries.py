@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from rankloom.llm.canonical_map import map_to_list
 from rankloom.llm.corpus_tokens import encode_corpus
+from rankloom.llm.leakage import find_leaks
 from rankloom.llm.mojibake import repair
 from rankloom.llm.name_variants import link_names, variant_pairs
 from rankloom.llm.response_defects import judge, one_each
@@ -73,5 +74,15 @@ def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_corpus(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p3_found": p3_found, "p3_restored": p3_restored, "p4_found": p4_found, "p4_defects": p4_defects, "p5_found": p5_found, "p5_orgs": p5_orgs, "p6_found": p6_found, "p8_ids": p8_ids}
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents that hold passages of evaluation items."""
+    return p9_leaks(spark, sf_dir).select("doc_id", "item_id").distinct()
+
+
+def p9_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every leak with the number of the passage's words and whether its numbers and units were exchanged."""
+    return find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p3_found": p3_found, "p3_restored": p3_restored, "p4_found": p4_found, "p4_defects": p4_defects, "p5_found": p5_found, "p5_orgs": p5_orgs, "p6_found": p6_found, "p8_ids": p8_ids, "p9_found": p9_found, "p9_leaks": p9_leaks}
 ORACLES: dict[str, str] = {}
