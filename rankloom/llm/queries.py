@@ -12,6 +12,7 @@ from rankloom.llm.corpus_tokens import encode_corpus
 from rankloom.llm.leakage import find_leaks
 from rankloom.llm.mojibake import repair
 from rankloom.llm.name_variants import link_names, variant_pairs
+from rankloom.llm.pii import detect, redact
 from rankloom.llm.response_defects import judge, one_each
 from rankloom.plans.session import table
 
@@ -84,5 +85,15 @@ def p9_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p3_found": p3_found, "p3_restored": p3_restored, "p4_found": p4_found, "p4_defects": p4_defects, "p5_found": p5_found, "p5_orgs": p5_orgs, "p6_found": p6_found, "p8_ids": p8_ids, "p9_found": p9_found, "p9_leaks": p9_leaks}
+def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every personal detail of every document with its type."""
+    return detect(table(spark, sf_dir, "documents"))
+
+
+def p10_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with placeholders, and with surrogates under a key of this run's own."""
+    return redact(table(spark, sf_dir, "documents"), key=b"key of the example query")
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p3_found": p3_found, "p3_restored": p3_restored, "p4_found": p4_found, "p4_defects": p4_defects, "p5_found": p5_found, "p5_orgs": p5_orgs, "p6_found": p6_found, "p8_ids": p8_ids, "p9_found": p9_found, "p9_leaks": p9_leaks, "p10_found": p10_found, "p10_redacted": p10_redacted}
 ORACLES: dict[str, str] = {}
