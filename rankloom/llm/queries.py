@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from rankloom.llm.canonical_map import map_to_list
 from rankloom.llm.corpus_tokens import encode_corpus
 from rankloom.llm.leakage import find_leaks
+from rankloom.llm.linkage import link
 from rankloom.llm.mojibake import repair
 from rankloom.llm.name_variants import link_names, variant_pairs
 from rankloom.llm.pii import detect, redact
@@ -17,6 +18,16 @@ from rankloom.llm.response_defects import judge, one_each
 from rankloom.plans.session import table
 
 
+def p2_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of records of one work from different platforms, each with a confidence."""
+    return link(table(spark, sf_dir, "search_records"))
+
+
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of records of one work from different platforms."""
+    return p2_matches(spark, sf_dir).select("record_id_a", "record_id_b")
+
+
 def _titles(spark: SparkSession, sf_dir: str) -> DataFrame:
     records, mangled = table(spark, sf_dir, "search_records"), table(spark, sf_dir, "scopus_mangled_title")
     first = records.select(F.lit("search_records").alias("src_table"), F.col("record_id").alias("row_id"), F.col("title").alias("text"))
@@ -95,5 +106,5 @@ def p10_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
     return redact(table(spark, sf_dir, "documents"), key=b"key of the example query")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p3_found": p3_found, "p3_restored": p3_restored, "p4_found": p4_found, "p4_defects": p4_defects, "p5_found": p5_found, "p5_orgs": p5_orgs, "p6_found": p6_found, "p8_ids": p8_ids, "p9_found": p9_found, "p9_leaks": p9_leaks, "p10_found": p10_found, "p10_redacted": p10_redacted}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p2_found": p2_found, "p2_matches": p2_matches, "p3_found": p3_found, "p3_restored": p3_restored, "p4_found": p4_found, "p4_defects": p4_defects, "p5_found": p5_found, "p5_orgs": p5_orgs, "p6_found": p6_found, "p8_ids": p8_ids, "p9_found": p9_found, "p9_leaks": p9_leaks, "p10_found": p10_found, "p10_redacted": p10_redacted}
 ORACLES: dict[str, str] = {}
