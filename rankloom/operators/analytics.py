@@ -8,8 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rankloom.functions import scalars as S
-from rankloom.operators import bias, matching, responses, similarity
+from rankloom.operators import bias, canonical, matching, responses, similarity
 from rankloom.plans.session import table
+from rankloom.streaming import logs
 
 _R9 = lambda c: F.round(F.col(c).cast("double"), 9).alias(c)
 
@@ -174,11 +175,29 @@ def a45_divergence(spark: SparkSession, d: str) -> DataFrame:
     return _rounded(responses.model_divergence(rows.withColumn("title", S.norm_title(F.col("title"))), "title"))
 
 
+def c1_canonical(spark: SparkSession, d: str) -> DataFrame:
+    """Every search hit as one canonical row with provenance (lists as text)."""
+    rows = canonical.canonical(table(spark, d, "search_records"))
+    return _rounded(rows.withColumn("issn_list", F.array_join("issn_list", ";")))
+
+
+def c2_missingness(spark: SparkSession, d: str) -> DataFrame:
+    """Share of missing values by platform and canonical field."""
+    rows = canonical.canonical(table(spark, d, "search_records"))
+    fields = ["doi", "year", "language", "is_oa", "citations", "publisher", "journal_title", "issn"]
+    return _rounded(rows.groupBy("platform").agg(*[(1 - F.count(f) / F.count("*")).alias(f) for f in fields]).unpivot("platform", fields, "field", "missing"))
+
+
+def t2_events_daily(spark: SparkSession, d: str) -> DataFrame:
+    """Events and their total value by day and type: the batch side of the windowed stream."""
+    return _rounded(logs.per_window(table(spark, d, "events")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         f_identifiers, f_issn, f_coercions, f_rank_value, a1_pairwise, a1_overlap_mean, a5_recency, a6_completeness, a7_language, a10_publisher_hhi, a11_spearman, a14_citation_quality, a27_years, a32_winsorized,
-        w1_ranked, w3_oa_top_k, w5_citations_top_k, w6_journals_top_k, w7_language_shift, o7_membership, j1_issn_index, j2_match_methods, j2_match_exact, a34_model_summary, a47_parse_robustness, o9_items, a46_stability, a45_divergence,
+        w1_ranked, w3_oa_top_k, w5_citations_top_k, w6_journals_top_k, w7_language_shift, o7_membership, j1_issn_index, j2_match_methods, j2_match_exact, a34_model_summary, a47_parse_robustness, o9_items, a46_stability, a45_divergence, c1_canonical, c2_missingness, t2_events_daily,
     )
 }
 
@@ -211,6 +230,24 @@ result as (select t.query, t.source_a, t.source_b, t.n_a, t.n_b, n_common, n_com
 _RANKED = "ranked as (select *, row_number() over (partition by platform, query_id order by rank, coalesce(doi,''), coalesce(title,''), coalesce(raw_id,''), record_id) as pos from frame where rank is not null), topk as (select r.*, k, pos<=k as top from ranked r, (values (10),(20),(50)) as ks(k))"
 _INT = r"try_cast(trunc(try_cast(regexp_replace(regexp_replace({0},'^\s+|\s+$','','g'),',','','g') as double)) as bigint)"
 
+_FLAG = "case when lower({0}) in ('1','true','yes','y','open') then true when lower({0}) in ('0','false','no','n','closed') then false end"
+_LIST = "coalesce(case when json_type(extra,'{0}')='ARRAY' then from_json(json_extract(extra,'{0}'),'[\"VARCHAR\"]') end, []::varchar[])"
+_FIRST = lambda *paths: "coalesce(" + ", ".join(_TRIM.format(_J.format(p)) for p in paths) + ")"
+_LISTED = ("$.openalex.primary_location.source.issn", "$.openalex.host_venue.issn", "$.semanticscholar.publicationVenue.issn", "$.core.identifiers.issn", "$.core.identifiers.eissn")
+_CANON = (
+    "with raw as (select *, list_transform([" + _J.format('$.scopus.raw."prism:issn"') + ", " + _J.format('$.scopus.raw."prism:eIssn"') + "] || " + " || ".join(_LIST.format(p) for p in _LISTED) + " || [" + _J.format("$.semanticscholar.journal.issn") + "], lambda x: " + _ISSN.format("x") + ") as cands from search_records), "
+    "one as (select *, list_filter(cands, lambda x, i: x is not null and list_position(cands, x)=i) as issns, "
+    + _FLAG.format(_J.format("$.openalex.open_access.is_oa")) + " as oa1, " + _FLAG.format(_J.format("$.semanticscholar.isOpenAccess")) + " as oa2, "
+    "coalesce(cited_by_count::bigint, " + ", ".join(_INT.format(_J.format(p)) for p in ("$.openalex.cited_by_count", "$.semanticscholar.citationCount", "$.core.citationCount", '$.scopus.raw."citedby-count"')) + ") as cites from raw), "
+    "canon as (select record_id, coalesce(" + _TRIM.format("raw_id") + ", " + _DOI.format("doi") + ", " + _TRIM.format("url") + ", coalesce(" + _TRIM.format("title") + ",'record')||'#'||coalesce(result_rank::varchar,'na')) as id, "
+    "coalesce(" + _COMPACT.format("platform") + ",'unknown') as platform, query_id, result_rank::bigint as rank, " + _TRIM.format("title") + " as title, "
+    "coalesce(" + _DOI.format("doi") + ", case when regexp_matches(lower(url),'^https?://(dx\\.)?doi\\.org/') then " + _DOI.format("url") + " end) as doi, "
+    "case when pub_year between 1800 and 2100 then pub_year::bigint end as year, " + _COMPACT.format("lang_code") + " as language, coalesce(is_oa, oa1, oa2) as is_oa, cites as citations, "
+    + _FIRST("$.openalex.primary_location.source.publisher", "$.openalex.host_venue.publisher", "$.semanticscholar.journal.publisher", "$.core.publisher", "$.scopus.raw.publishername") + " as publisher, "
+    + _FIRST("$.openalex.primary_location.source.display_name", "$.openalex.host_venue.display_name", "$.semanticscholar.journal.name", "$.core.journal", '$.scopus.raw."prism:publicationName"') + " as journal_title, issns, "
+    "case when is_oa is not null then 'raw' when coalesce(oa1,oa2) is not null then 'payload' else 'missing' end as is_oa_provenance, case when cited_by_count is not null then 'raw' when cites is not null then 'payload' else 'missing' end as citations_provenance from one)"
+)
+
 ORACLES: dict[str, str] = {
     "f_identifiers": f"select record_id, {_DOI.format('doi')} as doi_norm, {_COMPACT.format('source')} as source_norm, {_COMPACT.format('lang_code')} as lang_norm from search_records",
     "f_issn": f"""with n as (select distinct venue_key, issn_print, {_ISSN.format('issn_print')} as issn_norm from ranking_entries), c as (select *, replace(issn_norm,'-','') as s from n)
@@ -239,5 +276,8 @@ case when available >= greatest(30, ceil(n_top*0.6)) and 1-available::double/n_t
 select platform, k::bigint as k, round(sum(case when p>0 then p*log2(p/((p+q)/2)) else 0 end)/2 + sum(case when q>0 then q*log2(q/((p+q)/2)) else 0 end)/2,9) as js from s group by platform, k""",
     "o7_membership": f"with {_FRAME}, m as (select doi, " + ", ".join(f"max((platform='{p}')::int) as {p}" for p in ("core", "openalex", "scopus", "semanticscholar")) + " from frame where doi is not null group by doi) select core::bigint as core, openalex::bigint as openalex, scopus::bigint as scopus, semanticscholar::bigint as semanticscholar, count(*) as n from m group by all",
     "j1_issn_index": f"with k as (select venue_key as venue, unnest([{_ISSN.format('issn_l')}, {_ISSN.format('issn_print')}, {_ISSN.format('issn_online')}]) as key from ranking_entries) select key, min(venue) as venue from k where key is not null group by key having count(distinct venue)=1",
+    "c1_canonical": _CANON + " select record_id, id, platform, query_id, rank, title, doi, year, language, is_oa, citations, publisher, journal_title, array_to_string(issns,';') as issn_list, issns[1] as issn, issns[2] as eissn, is_oa_provenance, citations_provenance from canon",
+    "c2_missingness": _CANON + " " + " union all ".join(f"select platform, '{f}' as field, round(1-count({f})::double/count(*),9) as missing from (select *, issns[1] as issn from canon) group by platform" for f in ("doi", "year", "language", "is_oa", "citations", "publisher", "journal_title", "issn")),
+    "t2_events_daily": "select date_trunc('day', ts)::timestamp as start, event_type, count(*) as n, round(sum(value),9) as total from events group by all",
     "a34_model_summary": "select model, count(*) as calls, round(avg((not success)::int),9) as failure_rate, round(avg(latency_ms),9) as mean_latency, round(median(latency_ms)::double,9) as median_latency, sum(prompt_tokens)::bigint as prompt_tokens, sum(completion_tokens)::bigint as completion_tokens, count(distinct query_id) as queries from provider_responses group by model",
 }
