@@ -96,8 +96,12 @@ def _quote(text: str, i: int, q: str, buf: list[str]) -> int:
         if c == "\\" and i + 1 < n:
             e = text[i + 1]
             if e == "u" and re.match(r"[0-9a-fA-F]{4}", text[i + 2 : i + 6]):
-                buf.append(chr(int(text[i + 2 : i + 6], 16)))
+                code = int(text[i + 2 : i + 6], 16)
                 i += 6
+                if 0xD800 <= code < 0xDC00 and re.match(r"\\u[dD][c-fC-F][0-9a-fA-F]{2}", text[i : i + 6]):
+                    code = 0x10000 + ((code - 0xD800) << 10) + int(text[i + 2 : i + 6], 16) - 0xDC00
+                    i += 6
+                buf.append("�" if 0xD800 <= code < 0xE000 else chr(code))  # half a pair is no character
             elif e == "x" and re.match(r"[0-9a-fA-F]{2}", text[i + 2 : i + 4]):
                 buf.append(chr(int(text[i + 2 : i + 4], 16)))
                 i += 4

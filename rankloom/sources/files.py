@@ -22,7 +22,7 @@ QUERY_NAMES = {"query_id": ("query_id", "id"), "query_text": ("query_text", "tex
 
 def read_queries(spark: SparkSession, path: str) -> DataFrame:
     """A CSV query list as query_id, query_text and the other filled columns as a map; duplicate rows stay, blank ones go."""
-    raw = spark.read.option("header", True).option("multiLine", True).csv(path)
+    raw = spark.read.option("header", True).option("multiLine", True).option("escape", '"').csv(path)
     known = {new: F.coalesce(*[text(F.col(f"`{c}`")) for c in names if c in raw.columns] or [F.lit(None).cast("string")]) for new, names in QUERY_NAMES.items()}
     taken = {c for names in QUERY_NAMES.values() for c in names}
     rest = [c for c in raw.columns if c not in taken]
@@ -112,7 +112,7 @@ def read_ranking(spark: SparkSession, path: str, columns: dict[str, str | int],
         spark.dataSource.register(XlsxSource)
         raw = spark.read.format("xlsx_rows").option("path", path).load()
     else:
-        raw = spark.read.option("sep", "\t" if path.lower().endswith(".tsv") else ",").option("multiLine", True).csv(path)
+        raw = spark.read.option("sep", "\t" if path.lower().endswith(".tsv") else ",").option("multiLine", True).option("escape", '"').csv(path)
     top = raw.first()
     head = list(top) if top else []
     named = is_header(head) if header is None else header
