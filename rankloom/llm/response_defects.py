@@ -46,7 +46,7 @@ CANNOT = re.compile(
     r"\b(?:can'?t|cannot|can not|unable|not able|won'?t be able|could not|must decline|decline|refuse|not comfortable|not feel comfortable|(?:i'?d|would) rather not|off the table|not allowed|(?:am|is) allowed|not something i|no list will|outside (?:of )?(?:what|my)|leave (?:it|to)|closed this|improper|on which i|say nothing|stay silent|go against"
     r"|kann ich|ich kann|darf ich|muss ich|ablehnen|nicht helfen|gebe ich|treffe ich|lasse ich|nicht in meinen|unbeantwortet|keine auskunft|verweiger\w+|möchte ich nicht"
     r"|je ne peux|impossible de|je préfère ne|ne viendra|autorisé à|je laisse|je refuse|je dois décliner|ne souhaite pas|hors de mon|sans réponse"
-    r"|no puedo|rechazar|no voy a|lo dejo|no me es posible|no estoy autorizad\w+|prefiero no|fuera de mi|no me corresponde|no saldrá de mí|no me permite\w*)\b", re.I)
+    r"|no puedo|rechazar|no voy a|lo dejo|no me es posible|no estoy autorizad\w+|prefiero no|fuera de mi|(?:no )?tengo (?:permitido|prohibido)|no me está permitido|m'est fermé|il m'est|no me corresponde|no saldrá de mí|no me permite\w*)\b", re.I)
 POLITE = re.compile(
     r"\b(?:i'?m sorry|sorry,|unfortunately|regrettably|as an? (?:ai|language model)|guidelines|usage policy|operators|remit|librarian|specialist|ask something else|consult|feel free"
     r"|tut mir leid|leider|sprachmodell|vorgaben|fachperson|bibliothek|wenden sie sich|aufgabenbereich"
@@ -60,11 +60,18 @@ LENGTH = {"length", "max_tokens", "token_limit", "max_output_tokens"}
 FUNCTIONS: dict[str, dict[str, tuple[float, float]]] = {
     "empty": {"no_text": (0.6, 0.001), "no_letter": (0.8, 0.002), "shell": (0.8, 0.002), "long": (0.01, 0.95)},
     "copy": {"same": (0.6, 0.001), "within": (0.7, 0.005), "nothing_new": (0.8, 0.005), "answer": (0.02, 0.9)},
-    "refusal": {"cannot": (0.7, 0.02), "polite": (0.5, 0.02), "self": (0.7, 0.04), "filter": (0.3, 0.01), "bare": (0.9, 0.05), "answer": (0.03, 0.9)},
+    "refusal": {"cannot": (0.7, 0.02), "polite": (0.5, 0.005), "self": (0.7, 0.04), "filter": (0.3, 0.01), "bare": (0.9, 0.05), "answer": (0.03, 0.9)},
     "truncated": {"open_end": (0.95, 0.002), "unbalanced": (0.3, 0.005), "last_item": (0.3, 0.01), "cut_json": (0.4, 0.005), "limit": (0.4, 0.04)},
     "language": {"other": (0.9, 0.01), "far": (0.85, 0.01), "none_asked": (0.8, 0.05), "letters": (0.4, 0.02)},
 }
 
+#: A defect needs one of these functions; the others only add to or take from what they say. Without anchors the two
+#: classes of the model could settle on any other split of the pairs, such as short and long answers.
+ANCHORS = {
+    "empty": {"no_text", "no_letter", "shell"}, "copy": {"same", "within", "nothing_new"}, "refusal": {"cannot", "polite", "self", "filter"},
+    "truncated": {"open_end", "unbalanced", "last_item", "cut_json"}, "language": {"other", "far"},
+}
+
 
 def letters_only(text: str) -> str:
     return " ".join(re.findall(r"\w+", text.lower()))
@@ -214,12 +221,13 @@ def mask(defect: str, names: set[str]) -> int:
     return sum(1 << k for k, f in enumerate(FUNCTIONS[defect]) if f in names)
 
 
-def fit(defect: str, counts: dict[int, int], rounds: int = 200, weight: float = 0.02) -> dict[int, float]:
+def fit(defect: str, counts: dict[int, int], rounds: int = 200, weight: float = 0.1) -> dict[int, float]:
     """Posterior of the defect for every pattern (bits: firing functions) by expectation-maximization.
 
     The starting rates also act as a prior worth ``weight`` of the pairs, so functions that never fire keep them.
     """
     names = list(FUNCTIONS[defect])
+    anchored = mask(defect, ANCHORS[defect])
     start = [FUNCTIONS[defect][f] for f in names]
     total = sum(counts.values())
     share, rates = 0.03, [list(s) for s in start]
@@ -230,7 +238,7 @@ def fit(defect: str, counts: dict[int, int], rounds: int = 200, weight: float =
             odds = math.log(share / (1 - share))
             for k, (w, wo) in enumerate(rates):
                 odds += math.log(w / wo) if p >> k & 1 else math.log((1 - w) / (1 - wo))
-            posterior[p] = 1 / (1 + math.exp(-max(-60.0, min(60.0, odds))))
+            posterior[p] = 1 / (1 + math.exp(-max(-60.0, min(60.0, odds)))) if p & anchored else 0.0
         positive = sum(n * posterior[p] for p, n in counts.items())
         prior = weight * total
         share = min(0.5, max(1e-5, (positive + 0.03 * prior) / (total + prior)))
