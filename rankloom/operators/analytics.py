@@ -209,6 +209,7 @@ _COMPACT = r"lower(regexp_replace(nullif(regexp_replace({0},'^\s+|\s+$','','g'),
 _ISSN0 = "regexp_replace(upper({0}),'[^0-9X]','','g')"
 _ISSN1 = f"case when length({_ISSN0})=7 then '0'||{_ISSN0} else {_ISSN0} end"
 _ISSN = f"case when regexp_matches({_ISSN1},'^[0-9]{{{{7}}}}[0-9X]$') then substr({_ISSN1},1,4)||'-'||substr({_ISSN1},5,4) end"
+_TITLE = r"nullif(trim(regexp_replace(regexp_replace(replace(regexp_replace(replace(lower({0}),'&',' and '),'\([^)]*\)',' ','g'),'_',' '),'[^\p{{L}}\p{{N}}\s]',' ','g'),'\s+',' ','g')),'')"
 _J = "json_extract_string(extra,'{0}')"
 _FRAME = (
     "frame as (select record_id, platform, query_id, result_rank as rank, " + _DOI.format("doi") + " as doi, " + _TRIM.format("title") + " as title, raw_id, "
@@ -279,5 +280,9 @@ select platform, k::bigint as k, round(sum(case when p>0 then p*log2(p/((p+q)/2)
     "c1_canonical": _CANON + " select record_id, id, platform, query_id, rank, title, doi, year, language, is_oa, citations, publisher, journal_title, array_to_string(issns,';') as issn_list, issns[1] as issn, issns[2] as eissn, is_oa_provenance, citations_provenance from canon",
     "c2_missingness": _CANON + " " + " union all ".join(f"select platform, '{f}' as field, round(1-count({f})::double/count(*),9) as missing from (select *, issns[1] as issn from canon) group by platform" for f in ("doi", "year", "language", "is_oa", "citations", "publisher", "journal_title", "issn")),
     "t2_events_daily": "select date_trunc('day', ts)::timestamp as start, event_type, count(*) as n, round(sum(value),9) as total from events group by all",
+    "j2_match_exact": f"""with k as (select venue_key as venue, unnest([{_ISSN.format('issn_l')}, {_ISSN.format('issn_print')}, {_ISSN.format('issn_online')}]) as key from ranking_entries), ik as (select key, min(venue) as venue from k where key is not null group by key having count(distinct venue)=1),
+tk as (select {_TITLE.format('title')} as key, min(venue_key) as venue from ranking_entries where {_TITLE.format('title')} is not null group by 1 having count(distinct venue_key)=1),
+e as (select entry_id, {_TITLE.format('prism_publicationname')} as t, {_ISSN.format('prism_issn')} as i1, {_ISSN.format('prism_eissn')} as i2 from scopus_entries)
+select entry_id as row_id, coalesce(a.venue, b.venue, tk.venue) as venue, case when coalesce(a.venue, b.venue) is not null then 'issn' else 'title' end as method from e left join ik a on a.key=i1 left join ik b on b.key=i2 left join tk on tk.key=t where coalesce(a.venue, b.venue, tk.venue) is not null""",
     "a34_model_summary": "select model, count(*) as calls, round(avg((not success)::int),9) as failure_rate, round(avg(latency_ms),9) as mean_latency, round(median(latency_ms)::double,9) as median_latency, sum(prompt_tokens)::bigint as prompt_tokens, sum(completion_tokens)::bigint as completion_tokens, count(distinct query_id) as queries from provider_responses group by model",
 }
