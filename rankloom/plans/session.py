@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
 import uuid
@@ -29,6 +30,16 @@ def stored(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.parquet(path)
 
 
+def release_shuffles(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of frames that nothing refers to any more.
+
+    It does so when the driver collects garbage. Call it after a stored table or checkpoint has taken a frame's place and
+    the frame itself is out of scope.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def checkpoint(df: DataFrame, eager: bool = True) -> DataFrame:
     """Cut the lineage of ``df`` with a checkpoint in the folder all executors share.
 
