@@ -42,7 +42,7 @@ def test_scalars(spark):
     assert _one(spark, " https://doi.org/10.1234%2FAbC. ", S.norm_doi) == "10.1234/abc"
     assert _one(spark, "doi:10.1/x", S.norm_doi) is None and _one(spark, None, S.norm_doi) is None
     assert _one(spark, "https://dx.doi.org/10.1234/q", S.doi_from_url) == "10.1234/q" and _one(spark, "https://a.example/10.1234/q", S.doi_from_url) is None
-    assert _one(spark, "ISSN 1234-567x", S.norm_issn) is None or True
+    assert _one(spark, "12345", S.norm_issn) is None
     assert _one(spark, "12345679", S.norm_issn) == "1234-5679" and _one(spark, "317-8471", S.norm_issn) == "0317-8471"
     for issn, good in (("1234-5679", True), ("0000-006X", True), ("1234-5678", False), ("0000-0060", False)):
         assert _one(spark, issn, S.issn_is_valid) is good
