@@ -226,6 +226,8 @@ def fit(defect: str, counts: dict[int, int], rounds: int = 200, weight: float =
 
     The starting rates also act as a prior worth ``weight`` of the pairs, so functions that never fire keep them.
     """
+    if not counts:
+        return {}
     names = list(FUNCTIONS[defect])
     anchored = mask(defect, ANCHORS[defect])
     start = [FUNCTIONS[defect][f] for f in names]
