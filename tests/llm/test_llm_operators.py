@@ -266,6 +266,21 @@ def test_large_blocks_keep_pairs(spark):
     assert {(k, k + 1) for k in range(0, 200, 2)} <= got
 
 
+def test_large_blocks_keep_records_without_year_or_names(spark):
+    t = "How dense columns shape clinical informatics"
+    rows = [(k, "ab"[k % 2], t, None, 2000 + k, f"Family{'abcdefghijklmnopqrstuvwxyz'[k // 2] * 4}, X.") for k in range(40)]
+    rows += [(100, "a", t, None, None, "Family" + "a" * 4), (101, "b", t, None, 2030, None), (102, "a", t, None, None, None)]
+    rows += [(200, "a", t, "10.1234/own", 2001, "Somebody, A."), (201, "b", t, "10.1234/own", 2001, "Nobodyelse, B.")]
+    df = spark.createDataFrame(rows, "record_id long, platform string, title string, doi string, pub_year int, authors string")
+    features = df.select("record_id", "platform", "title", "doi", "pub_year", "authors").mapInArrow(linkage._describe, linkage._FEATURES)
+    got = {(r.a, r.b): r.score for r in linkage.candidate_graph(features, linkage.candidate_blocks(features)).collect()}
+    side = lambda x: features.select(*[F.col(c).alias(f"{c}_{x}") for c in linkage._COMPARED])
+    every = side("a").crossJoin(side("b")).where("id_a < id_b and source_a <> source_b").select("id_a", "id_b", linkage.log_odds().alias("score"))
+    wanted = {(r.id_a, r.id_b): r.score for r in every.where("score >= -1.2").collect()}
+    assert {(1, 100), (30, 101), (101, 102), (200, 201)} <= set(wanted)
+    assert wanted == {p: got.get(p) for p in wanted}
+
+
 def test_queries_are_registered():
     from rankloom.llm.queries import QUERIES
 
