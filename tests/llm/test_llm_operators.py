@@ -272,7 +272,7 @@ def test_large_blocks_keep_records_without_year_or_names(spark):
     rows += [(100, "a", t, None, None, "Family" + "a" * 4), (101, "b", t, None, 2030, None), (102, "a", t, None, None, None)]
     rows += [(200, "a", t, "10.1234/own", 2001, "Somebody, A."), (201, "b", t, "10.1234/own", 2001, "Nobodyelse, B.")]
     df = spark.createDataFrame(rows, "record_id long, platform string, title string, doi string, pub_year int, authors string")
-    features = df.select("record_id", "platform", "title", "doi", "pub_year", "authors").mapInArrow(linkage._describe, linkage._FEATURES)
+    features = df.select("record_id", "platform", "title", "doi", "pub_year", "authors").mapInArrow(linkage._describe, linkage._FEATURES).withColumn("common", F.lit(False))
     got = {(r.a, r.b): r.score for r in linkage.candidate_graph(features, linkage.candidate_blocks(features)).collect()}
     side = lambda x: features.select(*[F.col(c).alias(f"{c}_{x}") for c in linkage._COMPARED])
     every = side("a").crossJoin(side("b")).where("id_a < id_b and source_a <> source_b").select("id_a", "id_b", linkage.log_odds().alias("score"))
@@ -281,6 +281,24 @@ def test_large_blocks_keep_records_without_year_or_names(spark):
     assert wanted == {p: got.get(p) for p in wanted}
 
 
+def test_work_collected_many_times_keeps_every_pair(spark):
+    t = "How dense columns shape clinical informatics: evidence from 47 archives"
+    rows = [(k, "aaab"[k % 4], t, "10.1234/X.1", 2019, "Lee, Ann; Roe, Bo") for k in range(80)]
+    rows += [(100 + k, "ab"[k % 2], t + "!" * k, "10.1234/Y", 2001 + k // 2, f"Lee, {'ABC'[k % 3]}.; Roe, Bo; Name{'abcdefghijklmnopqrstuvwxyz'[k // 2] * 3}, C.") for k in range(40)]
+    rows += [(200 + k, "ab"[k % 2], f"{'abcdefghijklmnopqrstuvwxyz'[k] * 5} works on {'abcdefghijklmnopqrstuvwxyz'[k] * 4} things", "10.1234/junk", 2019, f"{'Abcdefghijklmnopqrstuvwxyz'[k]}{'xyzuv'[k % 5] * 7}, C.") for k in range(20)]
+    df = spark.createDataFrame(rows, "record_id long, platform string, title string, doi string, pub_year int, authors string")
+    got = [(r.record_id_a, r.record_id_b) for r in linkage.link(df).collect()]
+    found = set(got)
+    assert len(got) == len(found) and all(a < b for a, b in got)
+    assert {p for p in found if p[1] < 100} == {(i, j) for i, j in itertools.combinations(range(80), 2) if (i % 4 == 3) != (j % 4 == 3)}
+    assert {p for p in found if 100 <= p[0] and p[1] < 200} == {(100 + i, 100 + j) for i, j in itertools.combinations(range(40), 2) if i % 2 != j % 2}
+    rows = [(k, "ab"[k % 2], "Introduction to the special issue", None, 2019, None if k < 4 else f"{'Abcdefghijklmnopqrstuvwxyz'[k % 20]}{'xyzuv'[k % 5] * 7}, C.") for k in range(40)]
+    common = linkage.link(spark.createDataFrame(rows, df.schema)).select("record_id_a", "record_id_b").collect()
+    assert common == [] or all(b - a == 20 for a, b in common)
+    junk = linkage.junk_identifiers(df.select("record_id", "platform", "title", "doi", "pub_year", "authors").mapInArrow(linkage._describe, linkage._FEATURES))
+    assert [r.doi for r in junk.collect()] == ["10.1234/junk"]
+
+
 def test_queries_are_registered():
     from rankloom.llm.queries import QUERIES
 
