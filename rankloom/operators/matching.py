@@ -1,7 +1,8 @@
 """Venue matching cascade: identifier exact, title exact, fuzzy title; ambiguity is rejected, never guessed.
 
 The index of a reference list has one row for each unambiguous key. Identifiers and titles are equi-joins; the titles left
-over meet the reference titles in an equi-join on (first letters, length band), within which the similarity is exact.
+over meet every reference title whose length allows ``THRESHOLD - LEAD`` (an equi-join on the lengths), which loses no match
+and no runner-up.
 
 Defined results: a key that leads to several venues is dropped; the first identifier that hits decides; a fuzzy match needs
 ``THRESHOLD`` and ``LEAD`` over the runner-up; rows without any key are unmatched with score 0.
@@ -37,10 +38,10 @@ def match_venues(rows: DataFrame, row_id: str, title: str, issns: list[str], ref
     distinct = base.where("title_key is not null").select("title_key").distinct()
     by_title = distinct.join(title_index.withColumnRenamed("key", "title_key").withColumnRenamed("venue", "title_venue"), "title_key")
     rest = distinct.join(by_title, "title_key", "left_anti")
-    band = lambda c: F.floor(F.length(c) / 8).cast("int")
-    left = rest.select("title_key", F.substring("title_key", 1, 2).alias("head"), F.explode(F.array(band("title_key") - 1, band("title_key"), band("title_key") + 1)).alias("band"))
-    right = title_index.select(F.col("key"), F.col("venue").alias("fuzzy_venue"), F.substring("key", 1, 2).alias("head"), band("key").alias("band"))
-    scored = left.join(right, ["head", "band"]).withColumn("score", similarity(F.col("title_key"), F.col("key"))).where(F.col("score") >= THRESHOLD - LEAD)
+    length, low = F.length("title_key"), THRESHOLD - LEAD - 1e-9
+    left = rest.select("title_key", F.explode(F.sequence(F.ceil(length * low).cast("int"), F.floor(length / low).cast("int"))).alias("length"))
+    right = title_index.select(F.col("key"), F.col("venue").alias("fuzzy_venue"), F.length("key").alias("length"))
+    scored = left.join(right, "length").withColumn("score", similarity(F.col("title_key"), F.col("key"))).where(F.col("score") >= low)
     best = scored.groupBy("title_key").agg(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("s"), "fuzzy_venue"))).alias("all"))
     second = F.coalesce(-F.try_element_at("all", F.lit(2))["s"], F.lit(0.0))
     by_fuzzy = best.select("title_key", F.col("all")[0]["fuzzy_venue"].alias("fuzzy_venue"), (-F.col("all")[0]["s"]).alias("fuzzy_score"), second.alias("second")).where((F.col("fuzzy_score") >= THRESHOLD) & (F.col("fuzzy_score") - F.col("second") >= LEAD))

@@ -93,6 +93,14 @@ def test_match_cascade(spark):
     assert out == {1: ("v1", "issn"), 2: ("v1", "title"), 3: (None, "none"), 4: ("v4", "fuzzy"), 5: (None, "none"), 6: (None, "none")}
 
 
+def test_fuzzy_match_sees_every_title(spark):
+    ref = [("v1", "Proceedings of the Conference on Urban Planning"), ("v2", "Journal of Sleep Medicine Research"), ("v3", "Annals of Digital Archives Studies A"), ("v4", "Bnnals of Digital Archives Studies B"), ("v5", "word " * 40)]
+    rows = [(1, "The Proceedings of the Conference on Urban Planning"), (2, "Uournal of Sleep Medicine Research"), (3, "Annals of Digital Archives Studies B"), (4, "word " * 36)]
+    out = {r.row_id: (r.venue, r.method) for r in matching.match_venues(spark.createDataFrame([(*r, None) for r in rows], "id int, title string, issn string"), "id", "title", ["issn"], spark.createDataFrame([(*r, None) for r in ref], "venue string, title string, issn string"), "venue", "title", ["issn"]).collect()}
+    # row 3 is one letter from v3 and one from v4, which starts otherwise; row 4 is within the lead but below the threshold
+    assert out == {1: ("v1", "fuzzy"), 2: ("v2", "fuzzy"), 3: (None, "none"), 4: (None, "none")}
+
+
 def test_components(spark):
     edges = spark.createDataFrame([(1, 2), (2, 3), (5, 4), (7, 7), (3, 2)] + [(k, k + 1) for k in range(100, 140)], "a long, b long")
     got = dict(components(edges).collect())
