@@ -97,6 +97,15 @@ def test_map_to_list(spark):
     assert set(r.key for r in canonical_map.map_to_list(df, "entry_id", "name", ["id0"], ref.limit(0), "venue_key", "title", ["issn_print"]).collect()) == {"unmatched"}
 
 
+def test_words_that_go_without_saying(spark):
+    topics = ["Urban Planning", "Sleep Medicine", "Dental Imaging", "School Psychology", "Food Safety"]
+    ref = spark.createDataFrame([(f"c{k}", f"Proceedings of the Conference on {x}", None) for k, x in enumerate(topics)] + [("j", "Journal of Urban Planning", None)], "venue_key string, title string, issn string")
+    names = ["2019 Conference on Urban Planning", "Conference on Sleep Medicine Research", "Proceedings of Urban Planning", "Urban Planning"]
+    df = spark.createDataFrame([(i, n, None) for i, n in enumerate(names)], "entry_id long, name string, issn string")
+    out = {r.row_id: r.key for r in canonical_map.map_to_list(df, "entry_id", "name", ["issn"], ref, "venue_key", "title", ["issn"]).collect()}
+    assert out == {0: "c0", 1: "unmatched", 2: "c0", 3: "unmatched"}
+
+
 # --- 3: wrong decoding ----------------------------------------------------------------------------------------------
 
 CORPUS = ["Größe und Gewicht der Zeitschriften", "les évaluations à l’épreuve des médias", "the history of testing with the matter of estimates", "los países y la evaluación de índices", "stable national forests with histories"] * 60
