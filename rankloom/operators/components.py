@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rankloom.plans.session import checkpoint
+from rankloom.plans.session import discard, stored
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
@@ -30,13 +30,14 @@ def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
     """(node, component) for every node of ``edges`` (a, b long); the component is its least node.
 
     Loops and repeated edges do no harm, an empty graph gives no row. The lineage is cut after each round with a
-    checkpoint in the shared folder. Rounds grow with the logarithm of the longest path; ``rounds`` only guards against
+    table in the shared folder. Rounds grow with the logarithm of the longest path; ``rounds`` only guards against
     a defect and raises instead of returning labels that are not settled.
     """
-    now = checkpoint(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+    now = stored(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     mark = None
     for _ in range(rounds):
-        now = checkpoint(_star(_star(now, True), False))
+        before, now = now, stored(_star(_star(now, True), False))
+        discard(before)
         seen = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if seen == mark:
             ends = now.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct()
