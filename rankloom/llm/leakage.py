@@ -1,13 +1,14 @@
 """Evaluation texts leaking into training text: template windows, hash-joined, checked by alignment and slots.
 
 Texts become templates: mark-up, escapes, look-alike letters, case, accents and punctuation go; numbers, the units behind
-them and names become typed placeholders, so a question with other parameters keeps its template. Windows of ``WINDOW``
-template words of the items' passages form a hash index; the windows of every document probe it. ``HITS`` hits of one
-item on neighbouring diagonals make a candidate; where enough words can be met, its region is aligned word by word (local
-alignment, +1 for a word, -1 for a change, a loss or a word put in between). A document holds an item if the aligned
-stretch has ``LEAST`` words of the passage in its order. A slot counts as a word if it holds the same value; another value
-costs nothing as long as equal values are replaced by equal values (slot consistency), and the item is then reported as
-re-parameterised.
+them and names (runs of two or more capitalised words that the items never write small) become typed placeholders, so a
+question with other parameters keeps its template. Windows of ``WINDOW`` template words of the items' passages, once with
+names and once without, form a hash index; the windows of every document are joined with it inside the tasks. ``HITS`` hits
+of one item on neighbouring diagonals make a candidate; where enough words can be met, slots aside, its region is aligned
+word by word (local alignment, +1 for a word, -1 for a change, a loss or a word put in between). A document holds an item
+if the aligned stretch has ``LEAST`` words of the passage in its order. A slot counts as a word if it holds the same value;
+another value costs nothing as long as equal values are replaced by equal values (slot consistency), and the item is then
+reported as re-parameterised.
 
 The items are a stated, small query set; they are indexed in blocks of ``BLOCK`` items, which bounds what a task holds,
 and all documents are probed against every block. Probing is row-local, nothing is shuffled.
@@ -23,6 +24,7 @@ from __future__ import annotations
 import html
 import re
 import unicodedata
+import uuid
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 
@@ -42,42 +44,40 @@ _TAG = re.compile(r"</?[a-zA-Z][^<>]{0,200}>|<!--.*?-->", re.S)
 _ESCAPED = re.compile(r"\\u([0-9a-fA-F]{4})|\\x([0-9a-fA-F]{2})|\\([ntr\"'/\\])")
 _TOKEN = re.compile(r"\d[\d.,]*\d|\d|[^\W\d_]+(?:['’][^\W\d_]+)*")
 _INVISIBLE = re.compile(r"[­​-‏⁠-⁤﻿\x00-\x08\x0e-\x1f]")
-NUMBER, UNIT = "<number>", "<unit>"
+_BROKEN = re.compile(r"(?<=\w)-\s*\r?\n\s*(?=[a-z])")
+NUMBER, UNIT, NAME = 1, 2, 3
+
+
+class _Folded(dict):
+    """Character -> what stands for it, found out once for each."""
+
+    def __missing__(self, code: int) -> str:
+        c = chr(code)
+        plain = unicodedata.normalize("NFKD", "" if _INVISIBLE.match(c) else c).translate(_LOOKALIKE)
+        out = self[code] = "".join(x for x in plain if not unicodedata.combining(x))
+        return out
+
+
+_FOLDED = _Folded({ord("’"): "'", ord("_"): " ", ord("*"): ""})
 
 
 def fold(text: str) -> str:
-    """Mark-up, escapes, look-alikes, case and accents undone."""
+    """Mark-up, escapes, look-alikes and accents undone; case is kept."""
     if "&" in text:
         text = html.unescape(html.unescape(text))
     if "\\" in text:
         text = _ESCAPED.sub(lambda m: chr(int(m[1] or m[2], 16)) if m[1] or m[2] else " " if m[3] in "ntr" else m[3], text)
     if "<" in text:
         text = _TAG.sub(lambda m: "" if m[0][1:2] in "biuBIUe/" or m[0][1:5].lower() in ("span", "stro", "mark") else " ", text)
-    if not text.isascii():
-        text = _INVISIBLE.sub("", text)
-        text = unicodedata.normalize("NFKD", text).translate(_LOOKALIKE)
-        text = "".join([c for c in text if not unicodedata.combining(c)])
-    text = re.sub(r"(?<=\w)-\s*\r?\n\s*(?=[a-z])", "", text)
-    return text.casefold().replace("’", "'").replace("_", " ").replace("*", "")
+    text = text.replace("_", " ").replace("*", "") if text.isascii() else text.translate(_FOLDED)
+    return _BROKEN.sub("", text) if "-" in text and "\n" in text else text
 
 
 def tokens(text: str) -> list[str]:
+    """The words and numbers of a text, their case kept."""
     return _TOKEN.findall(fold(text))
 
 
-def template(words: list[str]) -> list[str]:
-    """Numbers and the units behind them as placeholders."""
-    out = []
-    for k, w in enumerate(words):
-        if w[0].isdigit():
-            out.append(NUMBER)
-        elif k and words[k - 1][0].isdigit():
-            out.append(UNIT)
-        else:
-            out.append(w)
-    return out
-
-
 def passages(items: list[tuple[int, str]]) -> list[tuple[int, str]]:
     """(item, passage) without opening lines that items share and closing questions."""
     opening = Counter(re.sub(r"\s+", " ", t.split("\n", 1)[0]).strip() for _, t in items if "\n" in t)
@@ -92,121 +92,193 @@ def passages(items: list[tuple[int, str]]) -> list[tuple[int, str]]:
     return out
 
 
+class _Codes(dict):
+    """Word -> 4 x its code + 2 if it may be part of a name + 1 if it is a number; code 0: no word of the passages."""
+
+    def __init__(self, vocabulary: dict[str, int], small: set[str]) -> None:
+        super().__init__()
+        self.vocabulary, self.small = vocabulary, small
+
+    def __missing__(self, word: str) -> int:
+        if len(self) > 300_000:
+            self.clear()
+        low = word.casefold()
+        named = word[0].isupper() and not word.isupper() and low not in self.small
+        out = self[word] = self.vocabulary.get(low, 0) * 4 + 2 * named + word[0].isdigit()
+        return out
+
+
+class Text:
+    """A text as arrays: codes of its words, its template without names and its template."""
+
+    def __init__(self, words: list[str], known: _Codes) -> None:
+        info = np.fromiter(map(known.__getitem__, words), np.int64, len(words))
+        self.words, self.exact = words, info >> 2
+        self.listed = self.exact.tolist()
+        number, capital = (info & 1).astype(bool), (info & 2).astype(bool)
+        unit = np.zeros(len(words), bool)
+        unit[1:] = number[:-1] & ~number[1:]
+        beside = np.zeros(len(words), bool)
+        beside[1:] |= capital[:-1]
+        beside[:-1] |= capital[1:]
+        self.plain = np.where(number, NUMBER, np.where(unit, UNIT, self.exact))
+        self.named = capital & beside & ~number & ~unit
+        self.shape = np.where(self.named, NAME, self.plain)
+
+    def windows(self, bare: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(places, keys) of the windows in which every word is known: without names, with names, and of bare values.
+
+        A window goes on until it has ``WINDOW`` template words of which all but one are no slots, so that one full of
+        slots still says something.
+        """
+        n = len(self.words)
+        if n < WINDOW:
+            return
+        start = np.arange(n)
+        power = _power(n)
+        for codes, only in ((self.plain, None), (self.shape, self.named), (self.exact, None))[: 3 if bare else 2]:
+            if only is not None and not only.any():
+                continue
+            literal = np.concatenate([[0], np.cumsum(codes > NAME)])
+            end = np.maximum(np.searchsorted(literal, literal[:-1] + WINDOW - 1), start + WINDOW)
+            unknown = np.concatenate([[0], np.cumsum(codes == 0)])
+            fits = end <= n
+            fits[fits] = unknown[end[fits]] == unknown[:-1][fits]
+            if only is not None:
+                names = np.concatenate([[0], np.cumsum(only)])
+                fits[fits] = names[end[fits]] > names[:-1][fits]
+            at = start[fits]
+            total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(codes.astype(np.uint64) * _MIX * power[0][:n])])
+            yield at, (total[end[fits]] - total[at]) * power[1][at]
+
+
+_MIX, _BASE = np.uint64(0x9E3779B97F4A7C15), 0xD6E8FEB86659FD93
+_POWERS: list[tuple[np.ndarray, np.ndarray]] = []
+
+
+def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of the base of the rolling hash and of its inverse, modulo 2^64, n of them or more."""
+    if not _POWERS or len(_POWERS[0][0]) < n:
+        size = max(4096, 2 * n)
+        table = [np.cumprod(np.concatenate([[1], np.full(size - 1, b, np.uint64)]).astype(np.uint64)) for b in (_BASE, pow(_BASE, -1, 2**64))]
+        _POWERS[:] = [(table[0], table[1])]
+    return _POWERS[0]
+
+
 class Index:
     """The template windows of some passages."""
 
     def __init__(self, block: list[tuple[int, str]]) -> None:
         self.items = [i for i, _ in block]
-        self.words = [tokens(t) for _, t in block]
-        self.templates = [template(w) for w in self.words]
-        self.vocabulary = {w: k + 1 for k, w in enumerate(sorted({w for t in self.templates for w in t} | {w for x in self.words for w in x}))}
-        self.base = np.uint64(len(self.vocabulary) + 1)
-        self.exact = [self.codes(w).astype(np.int64) for w in self.words]
-        keys: dict[int, list[tuple[int, int]]] = defaultdict(list)
-        for n, t in enumerate(self.templates):
-            for pos, key in enumerate(self._keys(self.codes(t)).tolist()):
-                if sum(w[0] == "<" for w in t[pos : pos + WINDOW]) < 2:
-                    keys[key].append((n, pos))
+        raw = [tokens(t) for _, t in block]
+        vocabulary = {w: k + 4 for k, w in enumerate(sorted({w.casefold() for x in raw for w in x}))}
+        self.known = _Codes(vocabulary, {w for x in raw for w in x if w[0].islower()})
+        self.texts = [Text(w, self.known) for w in raw]
+        keys: dict[int, set[tuple[int, int]]] = defaultdict(set)
+        self.bare = False  # is there a passage of hardly anything but slots? It is looked for by its values.
+        for n, t in enumerate(self.texts):
+            kinds = list(t.windows(False))
+            if not any(len(at) >= HITS for at, _ in kinds) and len(t.words) >= LEAST:
+                kinds, self.bare = list(t.windows(True)), True
+            for at, found in kinds:
+                for pos, key in zip(at.tolist(), found.tolist()):
+                    keys[key].add((n, pos))
         self.keys = np.array(sorted(keys), np.uint64)
-        self.postings = [keys[k] for k in self.keys.tolist()]
-
-    def codes(self, words: list[str]) -> np.ndarray:
-        get = self.vocabulary.get
-        return np.array([get(w, 0) for w in words], np.uint64)
-
-    def _keys(self, codes: np.ndarray) -> np.ndarray:
-        """A key for each window; 0 for one with a word that no passage has."""
-        n = len(codes) - WINDOW + 1
-        if n < 1:
-            return np.zeros(0, np.uint64)
-        key = np.zeros(n, np.uint64)
-        whole = np.ones(n, bool)
-        for j in range(WINDOW):
-            part = codes[j : j + n]
-            key = key * self.base + part
-            whole &= part > 0
-        return np.where(whole, key, 0)
-
-    def _enough(self, n: int, run: list[tuple[int, int]], exact: np.ndarray) -> bool:
+        postings = [sorted(keys[k]) for k in self.keys.tolist()]
+        self.size = np.array([len(x) for x in postings], np.int64)
+        self.start = np.cumsum(self.size) - self.size
+        self.posted = np.array([x for found in postings for x in found], np.int64).reshape(-1, 2)  # item number, place
+        self.members = [set(t.exact.tolist()) for t in self.texts]
+
+    def _enough(self, n: int, first: int, last: int, diagonals: set[int], text: Text) -> bool:
         """Can a stretch around the hits have LEAST words of the passage? Counts words equal on a diagonal of the hits.
 
-        A necessary condition: losses and insertions move the alignment to a neighbouring diagonal, which counts too.
+        A necessary condition: losses and insertions move the alignment to a neighbouring diagonal, which counts too, and
+        slots filled otherwise take no part. Before that, words that the passage has anywhere are counted.
         """
-        words = self.exact[n]
-        low, high = max(0, run[0][1] - _REACH), min(len(exact), run[-1][1] + WINDOW + _REACH)
-        region = exact[low:high]
-        met = np.zeros(len(region), bool)
-        for diagonal in {d + j for d, _ in run for j in (-2, -1, 0, 1, 2)}:
+        item = self.texts[n]
+        low, high = max(0, first - _REACH), min(len(text.words), last + WINDOW + _REACH)
+        other = text.shape[low:high] > NAME
+        has = np.fromiter(map(self.members[n].__contains__, text.listed[low:high]), bool, high - low)
+        if not _dense(has[has | other]):
+            return False
+        met, slot = np.zeros(high - low, bool), np.zeros(high - low, bool)
+        for diagonal in {d + j for d in diagonals for j in (-2, -1, 0, 1, 2)}:
             # document position p stands against passage position p - diagonal
-            a, b = max(low, diagonal), min(high, len(words) + diagonal)
+            a, b = max(low, diagonal), min(high, len(item.words) + diagonal)
             if a < b:
-                met[a - low : b - low] |= exact[a:b] == words[a - diagonal : b - diagonal]
-        counts = np.cumsum(np.concatenate([[0], met]))
-        span = int(LEAST / DENSITY) + 1
-        return bool((counts[span:] - counts[:-span]).max() >= LEAST) if len(counts) > span else bool(counts[-1] >= LEAST)
+                there = slice(a - diagonal, b - diagonal)
+                met[a - low : b - low] |= text.exact[a:b] == item.exact[there]
+                slot[a - low : b - low] |= (text.shape[a:b] == item.shape[there]) & (item.shape[there] <= NAME)
+        return _dense(met[met | ~slot])
 
-    def candidates(self, words: list[str], plain: list[str]) -> list[tuple[int, int, int]]:
+    def candidates(self, text: Text) -> list[tuple[int, int, int]]:
         """(item number, first and last word of the region to align) where enough words are covered by hits."""
-        keys = self._keys(self.codes(words))
-        if not len(keys) or not len(self.keys):
+        if not len(self.keys):
+            return []
+        places, numbers = [], []
+        for at, keys in text.windows(self.bare):
+            found = np.searchsorted(self.keys, keys)
+            found[found == len(self.keys)] = 0
+            hit = np.flatnonzero(self.keys[found] == keys)
+            places.append(at[hit])
+            numbers.append(found[hit])
+        if sum(map(len, places)) < 1:
             return []
-        exact = self.codes(plain).astype(np.int64)
-        exact[exact == 0] = -1
-        found = np.searchsorted(self.keys, keys)
-        found[found == len(self.keys)] = 0
-        at = np.flatnonzero(self.keys[found] == keys)
-        hits: dict[int, list[tuple[int, int]]] = defaultdict(list)
-        for pos, k in zip(at.tolist(), found[at].tolist()):
-            for n, there in self.postings[k]:
-                hits[n].append((pos - there, pos))
+        place, number = np.concatenate(places), np.concatenate(numbers)
+        size = self.size[number]
+        inside = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
+        posted = self.posted[np.repeat(self.start[number], size) + inside]
+        at = np.repeat(place, size)
+        # item number, diagonal and place in one number: hits in order, each once
+        hits = np.unique(posted[:, 0] << 49 | (at - posted[:, 1] + (1 << 23)) << 24 | at)
+        item, diagonal, at = hits >> 49, (hits >> 24 & (1 << 25) - 1) - (1 << 23), hits & (1 << 24) - 1
+        cuts = np.flatnonzero((np.diff(item) != 0) | (np.diff(diagonal) > _BAND)) + 1
         out = []
-        for n, pairs in hits.items():
-            if len(pairs) >= HITS:
-                pairs.sort()
-                for near in _runs(pairs, 0, _BAND):
-                    for run in _runs(sorted(near, key=lambda x: x[1]), 1, _REACH) if len(near) >= HITS else ():
-                        if len(run) >= HITS and self._enough(n, run, exact):
-                            out.append((n, run[0][1], run[-1][1] + WINDOW))
+        for a, b in _spans(cuts, len(hits)):
+            near = np.sort(at[a:b])
+            for c, d in _spans(np.flatnonzero(np.diff(near) > _REACH) + 1, b - a):
+                n, first, last = int(item[a]), int(near[c]), int(near[d - 1])
+                if self._enough(n, first, last, set(diagonal[a:b].tolist()), text):
+                    out.append((n, first, last + WINDOW))
         return out
 
 
-def _runs(pairs: list[tuple[int, int]], by: int, gap: int) -> Iterator[list[tuple[int, int]]]:
-    """Cut a sorted list where neighbours are more than ``gap`` apart."""
-    first = 0
-    for k in range(1, len(pairs) + 1):
-        if k == len(pairs) or pairs[k][by] - pairs[k - 1][by] > gap:
-            if k - first > 1:
-                yield pairs[first:k]
-            first = k
+def _spans(cuts: np.ndarray, n: int) -> Iterator[tuple[int, int]]:
+    """(start, end) of the parts of at least ``HITS`` entries between cuts."""
+    ends = [0, *cuts.tolist(), n]
+    return ((a, b) for a, b in zip(ends, ends[1:]) if b - a >= HITS)
+
+
+def _dense(met: np.ndarray) -> bool:
+    """Are LEAST words met somewhere within the span that DENSITY allows?"""
+    counts = np.concatenate([[0], np.cumsum(met)])
+    span = int(LEAST / DENSITY) + 1
+    return bool((counts[span:] - counts[:-span]).max() >= LEAST) if len(counts) > span else bool(counts[-1] >= LEAST)
 
 
-def align(passage: list[str], shape: list[str], document: list[str], drawn: list[str]) -> tuple[int, bool]:
+def align(item: Text, text: Text, first: int, last: int) -> tuple[int, bool]:
     """(words of the passage on the best aligned stretch, were slots filled otherwise) of a region of a document."""
-    width = len(document) + 1
-    best, end = 0, (0, 0)
-    rows = [[0] * width]
-    for x, s in zip(passage, shape):
-        above, row = rows[-1], [0] * width
-        for j in range(1, width):
-            d = document[j - 1]
-            gain = 1 if x == d else 0 if s == drawn[j - 1] and s[0] == "<" else -1
-            score = max(0, above[j - 1] + gain, above[j] - 1, row[j - 1] - 1)
-            row[j] = score
-            if score > best:
-                best, end = score, (len(rows), j)
-        rows.append(row)
-    i, j = end
+    exact, shape, width = text.exact[first:last], text.shape[first:last], last - first
+    same = (item.exact[:, None] == exact) & (exact > 0)
+    slot = (item.shape[:, None] == shape) & (shape <= NAME) & (shape > 0)
+    gain = np.where(same, 1, np.where(slot, 0, -1))
+    step = np.arange(width + 1)
+    rows = np.zeros((len(item.words) + 1, width + 1), np.int64)
+    for i in range(len(item.words)):
+        row = np.maximum(rows[i] - 1, 0)
+        row[1:] = np.maximum(row[1:], rows[i, :-1] + gain[i])
+        rows[i + 1] = np.maximum.accumulate(row + step) - step  # words put in between cost one each
+    i, j = divmod(int(rows.argmax()), width + 1)
     equal, slots, steps, drawn_otherwise = 0, {}, 0, 0
-    while i and j and rows[i][j] > 0:
-        same = passage[i - 1] == document[j - 1]
-        slot = shape[i - 1] == drawn[j - 1] and shape[i - 1][0] == "<"
-        if rows[i][j] == rows[i - 1][j - 1] + (1 if same else 0 if slot else -1):
-            equal += same
-            if slot and not same:
-                slots.setdefault(passage[i - 1], set()).add(document[j - 1])
+    while i and j and rows[i, j] > 0:
+        if rows[i, j] == rows[i - 1, j - 1] + gain[i - 1, j - 1]:
+            equal += int(same[i - 1, j - 1])
+            if slot[i - 1, j - 1] and not same[i - 1, j - 1]:
+                slots.setdefault(item.words[i - 1].casefold(), set()).add(text.words[first + j - 1].casefold())
                 drawn_otherwise += 1
             i, j = i - 1, j - 1
-        elif rows[i][j] == rows[i - 1][j] - 1:
+        elif rows[i, j] == rows[i - 1, j] - 1:
             i -= 1
         else:
             j -= 1
@@ -224,17 +296,16 @@ def held(text: str | None, index: Index) -> list[tuple[int, int, bool]]:
     words = tokens(text)
     if len(words) < LEAST:
         return []
-    drawn = template(words)
+    document = Text(words, index.known)
     out: dict[int, tuple[int, bool]] = {}
-    for n, low, high in index.candidates(drawn, words):
-        a, b = max(0, low - _REACH), high + _REACH
-        found = align(index.words[n], index.templates[n], words[a:b], drawn[a:b])
+    for n, low, high in index.candidates(document):
+        found = align(index.texts[n], document, max(0, low - _REACH), min(len(words), high + _REACH))
         if found[0] >= LEAST and found > out.get(n, (0, False)):
             out[n] = found
     return [(index.items[n], *found) for n, found in out.items()]
 
 
-_BUILT: dict[int, Index] = {}
+_BUILT: dict[str, Index] = {}
 
 
 def find_leaks(documents: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
@@ -247,11 +318,11 @@ def find_leaks(documents: DataFrame, items: DataFrame, doc_id: str = "doc_id", t
     for k in range(0, max(1, len(known)), BLOCK):
         shared = documents.sparkSession.sparkContext.broadcast(known[k : k + BLOCK])
 
-        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            if id(shared) not in _BUILT:
+        def run(batches: Iterator[pa.RecordBatch], shared=shared, token=uuid.uuid4().hex) -> Iterator[pa.RecordBatch]:
+            if token not in _BUILT:
                 _BUILT.clear()
-                _BUILT[id(shared)] = Index(shared.value)
-            index = _BUILT[id(shared)]
+                _BUILT[token] = Index(shared.value)
+            index = _BUILT[token]
             for batch in batches:
                 found = [(d, *h) for d, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) for h in held(t, index)]
                 cols = list(zip(*found)) or [()] * 4
