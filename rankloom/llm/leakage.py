@@ -114,7 +114,6 @@ class Text:
     def __init__(self, words: list[str], known: _Codes) -> None:
         info = np.fromiter(map(known.__getitem__, words), np.int64, len(words))
         self.words, self.exact = words, info >> 2
-        self.listed = self.exact.tolist()
         number, capital = (info & 1).astype(bool), (info & 2).astype(bool)
         unit = np.zeros(len(words), bool)
         unit[1:] = number[:-1] & ~number[1:]
@@ -160,7 +159,8 @@ def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of the base of the rolling hash and of its inverse, modulo 2^64, n of them or more."""
     if not _POWERS or len(_POWERS[0][0]) < n:
         size = max(4096, 2 * n)
-        table = [np.cumprod(np.concatenate([[1], np.full(size - 1, b, np.uint64)]).astype(np.uint64)) for b in (_BASE, pow(_BASE, -1, 2**64))]
+        # whole numbers throughout: a plain 1 beside them would make them floats, which lose the hash
+        table = [np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(size - 1, b, np.uint64)]), dtype=np.uint64) for b in (_BASE, pow(_BASE, -1, 2**64))]
         _POWERS[:] = [(table[0], table[1])]
     return _POWERS[0]
 
@@ -188,7 +188,7 @@ class Index:
         self.size = np.array([len(x) for x in postings], np.int64)
         self.start = np.cumsum(self.size) - self.size
         self.posted = np.array([x for found in postings for x in found], np.int64).reshape(-1, 2)  # item number, place
-        self.members = [set(t.exact.tolist()) for t in self.texts]
+        self._member = np.zeros(len(vocabulary) + 4, bool)  # marks the words of one passage at a time
 
     def _enough(self, n: int, first: int, last: int, diagonals: set[int], text: Text) -> bool:
         """Can a stretch around the hits have LEAST words of the passage? Counts words equal on a diagonal of the hits.
@@ -198,9 +198,10 @@ class Index:
         """
         item = self.texts[n]
         low, high = max(0, first - _REACH), min(len(text.words), last + WINDOW + _REACH)
-        other = text.shape[low:high] > NAME
-        has = np.fromiter(map(self.members[n].__contains__, text.listed[low:high]), bool, high - low)
-        if not _dense(has[has | other]):
+        self._member[item.exact] = True
+        has = self._member[text.exact[low:high]]
+        self._member[item.exact] = False
+        if not _dense(has[has | (text.shape[low:high] > NAME)]):
             return False
         met, slot = np.zeros(high - low, bool), np.zeros(high - low, bool)
         for diagonal in {d + j for d in diagonals for j in (-2, -1, 0, 1, 2)}:
@@ -233,11 +234,11 @@ class Index:
         # item number, diagonal and place in one number: hits in order, each once
         hits = np.unique(posted[:, 0] << 49 | (at - posted[:, 1] + (1 << 23)) << 24 | at)
         item, diagonal, at = hits >> 49, (hits >> 24 & (1 << 25) - 1) - (1 << 23), hits & (1 << 24) - 1
-        cuts = np.flatnonzero((np.diff(item) != 0) | (np.diff(diagonal) > _BAND)) + 1
+        cuts = np.flatnonzero((item[1:] != item[:-1]) | (diagonal[1:] - diagonal[:-1] > _BAND)) + 1
         out = []
         for a, b in _spans(cuts, len(hits)):
             near = np.sort(at[a:b])
-            for c, d in _spans(np.flatnonzero(np.diff(near) > _REACH) + 1, b - a):
+            for c, d in _spans(np.flatnonzero(near[1:] - near[:-1] > _REACH) + 1, b - a) if near[-1] - near[0] > _REACH else ((0, b - a),):
                 n, first, last = int(item[a]), int(near[c]), int(near[d - 1])
                 if self._enough(n, first, last, set(diagonal[a:b].tolist()), text):
                     out.append((n, first, last + WINDOW))
@@ -246,15 +247,15 @@ class Index:
 
 def _spans(cuts: np.ndarray, n: int) -> Iterator[tuple[int, int]]:
     """(start, end) of the parts of at least ``HITS`` entries between cuts."""
-    ends = [0, *cuts.tolist(), n]
-    return ((a, b) for a, b in zip(ends, ends[1:]) if b - a >= HITS)
+    ends = np.concatenate([[0], cuts, [n]])
+    long = np.flatnonzero(ends[1:] - ends[:-1] >= HITS)
+    return zip(ends[long].tolist(), ends[long + 1].tolist())
 
 
 def _dense(met: np.ndarray) -> bool:
     """Are LEAST words met somewhere within the span that DENSITY allows?"""
-    counts = np.concatenate([[0], np.cumsum(met)])
-    span = int(LEAST / DENSITY) + 1
-    return bool((counts[span:] - counts[:-span]).max() >= LEAST) if len(counts) > span else bool(counts[-1] >= LEAST)
+    at = met.nonzero()[0]
+    return len(at) >= LEAST and bool((at[LEAST - 1 :] - at[: 1 - LEAST] <= int(LEAST / DENSITY)).any())
 
 
 def align(item: Text, text: Text, first: int, last: int) -> tuple[int, bool]:

@@ -211,6 +211,15 @@ def test_leaks(spark):
     assert leakage.find_leaks(df, spark.createDataFrame([], "item_id long, text string")).count() == 0
 
 
+def test_windows_of_different_words_have_different_keys():
+    one, *table = leakage._power(5000)[0].tolist(), *leakage._power(5000)
+    assert one[:2] == [1, leakage._BASE] and one[4999] == pow(leakage._BASE, 4999, 2**64) and set((table[0] * table[1]).tolist()) == {1}
+    items = [(n, " ".join("".join(random.Random(n * 100 + k).choices("abcdefghij", k=9)) for k in range(90))) for n in range(40)]
+    index = leakage.Index(items)
+    assert len(index.keys) == 40 * (90 - leakage.WINDOW + 1) and index.size.max() == 1  # no window meets another one's
+    assert leakage.held("unlike these. " * 9 + items[7][1], index) == [(7, 90, False)]
+
+
 def test_passages():
     got = dict(leakage.passages([(1, "Do this.\nA text.\nWhy?"), (2, "Do this.\nB text."), (3, "Own line.\nC text."), (4, "single")]))
     assert got == {1: "A text.", 2: "B text.", 3: "Own line.\nC text.", 4: "single"}
