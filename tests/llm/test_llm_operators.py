@@ -152,6 +152,25 @@ def test_repair(spark):
     assert mojibake.repair(df.limit(0), df.limit(0).select("text")).count() == 0
 
 
+def test_gaps_of_any_word():
+    common = ["".join(w) for w in itertools.islice(itertools.product("bdfghklmnprstvwz", "aeiou", "bdfghklmnprstvwz", "aeiou", "nrs"), 6500)]
+    model = mojibake.CleanModel({w: 100 for w in common} | {"unverständlichkeiten": 60, "plateformes": 50, "sur": 90, "le": 90, "aucun": 90})
+    assert [w for w in model.gapped("unver   ndlich ei en")] == ["unverständlichkeiten"]  # 20 letters, four different ones lost
+    assert mojibake.examine("le unverständlich eiten sur", model) == ("lost", "le unverständlichkeiten sur")
+    assert mojibake.examine("aucun p a e ormes", model) == ("lost", "aucun plateformes")  # behind 6,500 more frequent words
+
+
+def test_every_word_counts(spark):
+    words = [a + b + c for a, b, c in itertools.product("abcdefghijklmnopqrstuvwxyzäöüßéèàçñøåæ", repeat=3)] + ["größe"]
+    rows = [(" ".join(words[k : k + 50]),) for k in range(0, len(words), 50)] + [(" ".join(words[::70]),)] * 25 + [("grÃ¶ÃŸe " * 40,)]
+    texts = spark.createDataFrame([*rows, (None,)], "text string")
+    some = spark.createDataFrame([(" ".join("".join(p) for p in itertools.product("abcdefghijklmnop", repeat=4)),)], "text string")
+    model, counts = mojibake.CleanModel(*mojibake.lexicon(texts.union(some))), {r.word: r.n for r in mojibake.word_counts(texts.union(some)).collect()}
+    assert len(counts) > 120_000 and {w: model.count(w) for w in counts if w.isascii()} == {w: n for w, n in counts.items() if w.isascii()}
+    whole = mojibake.CleanModel(counts)
+    assert (model.rare, model.pairs, model.singles) == (whole.rare, pytest.approx(whole.pairs), pytest.approx(whole.singles))
+
+
 # --- 4: broken pairs ------------------------------------------------------------------------------------------------
 
 PROSE = "The archive of lists explains the score of records within the survey. "
