@@ -106,6 +106,15 @@ def test_words_that_go_without_saying(spark):
     assert out == {0: "c0", 1: "unmatched", 2: "c0", 3: "unmatched"}
 
 
+def test_names_with_slips_in_short_words(spark):
+    titles = ["Journal of Food Safety", "International Journal of Food Safety", "Zeitschrift für Peer Review", "Peer Review", "European Archives of Sleep Medicine", "Sleep Medicine and Society", "Journal of Museum Studies Research", "Transactions on Tax Compliance", "Trade History Review", "Journal of Plant Genetics", "Journal of Marine Ecology", "Annals of Marine Ecology"]
+    ref = spark.createDataFrame([(f"k{n}", t, None) for n, t in enumerate(titles)], "venue_key string, title string, issn string")
+    meant = {"Int J Food Safety": 1, "J Food Safety": 0, "Z Peer Rev": 2, "Peer Reviiew Review": 3, "Eur Arch Sleep Med": 4, "Sleep Med. and roc.": 5, "J. of Museum Studies ues.": 6, "Trans Tax Compliance": 7, "Int J Plant Genetics": None, "Journal of Plant Genetics Yearbook": None, "Plant Genetics": None, "Xn. of Marine Ecology": 11, "Xx. of Marine Ecology": None}
+    df = spark.createDataFrame([(i, n, None) for i, n in enumerate(meant)], "entry_id long, name string, issn string")
+    out = {r.row_id: r.key for r in canonical_map.map_to_list(df, "entry_id", "name", ["issn"], ref, "venue_key", "title", ["issn"]).collect()}
+    assert {n: out[i] for i, n in enumerate(meant)} == {n: "unmatched" if k is None else f"k{k}" for n, k in meant.items()}
+
+
 # --- 3: wrong decoding ----------------------------------------------------------------------------------------------
 
 CORPUS = ["Größe und Gewicht der Zeitschriften", "les évaluations à l’épreuve des médias", "the history of testing with the matter of estimates", "los países y la evaluación de índices", "stable national forests with histories"] * 60
