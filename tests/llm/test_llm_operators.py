@@ -8,7 +8,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from rankloom.llm import canonical_map, corpus_tokens, leakage, linkage, mojibake, name_variants, pii, response_defects
+from rankloom.llm import canonical_map, corpus_tokens, leakage, linkage, mojibake, name_variants, pairs, pii, response_defects
 
 VOCABULARY = corpus_tokens.VOCABULARY
 
@@ -327,6 +327,37 @@ def test_large_blocks_keep_records_without_year_or_names(spark):
     assert wanted == {p: got.get(p) for p in wanted}
 
 
+def test_records_lie_once_in_a_block(spark):
+    alphabet = "abcdefghijklmnopqrstuvwxyz"
+    t = "How dense columns shape clinical informatics"
+    rows = [(k, "abc"[k % 3], [t, t + " again", t + " 7", "How dense colums shape clinical informatics", t + " part II"][k % 5], "10.1234/X" if k % 11 == 0 else None, None if k % 7 == 0 else 2000 + k % 6, None if k % 9 == 0 else f"{alphabet[k % 13] * 5}{alphabet[k % 2]}, A.; {alphabet[k % 17] * 6}, B.") for k in range(120)]
+    df = spark.createDataFrame(rows, "record_id long, platform string, title string, doi string, pub_year int, authors string")
+    features = df.mapInArrow(linkage._describe, linkage._FEATURES).withColumn("common", F.col("id") % 20 == 0)
+    blocks = linkage.candidate_blocks(features)
+    assert blocks.count() == blocks.select("key", "id").distinct().count() > 200
+    got = {(r.a, r.b): (round(r.weight, 6), r.score) for r in linkage.candidate_graph(features, blocks).collect()}
+    side = lambda x: features.select(*[F.col(c).alias(f"{c}_{x}") for c in (*linkage._COMPARED, "keys")])
+    every = side("a").crossJoin(side("b")).where("id_a < id_b and source_a <> source_b").select("id_a", "id_b", linkage.log_odds().alias("score"), F.arrays_overlap("keys_a", "keys_b").alias("share"))
+    scores = {(r.id_a, r.id_b): (r.score, r.share) for r in every.collect()}
+    assert len(got) > 400 and {p: s for p, (_, s) in got.items()} == {p: scores[p][0] for p in got}
+    assert {p for p, (s, share) in scores.items() if s >= -1.2 and share} <= set(got)
+    # a block that is too large for one task is cut into cells and gives the same pairs
+    most, linkage.WHOLE = linkage.WHOLE, 30
+    try:
+        assert {(r.a, r.b): (round(r.weight, 6), r.score) for r in linkage.candidate_graph(features, blocks).collect()} == got
+    finally:
+        linkage.WHOLE = most
+
+
+def test_close_names():
+    rng = random.Random(3)
+    names = sorted({"".join(rng.choices("abcd", k=rng.randint(1, 7))) for _ in range(300)})
+    near = lambda x, y: pairs.within(x, y, 9) <= 2
+    got = pairs.close_names(names)
+    assert all(set(got.get(x, ())) == {y for y in names if x != y and near(x, y)} for x in names)
+    assert pairs.within("kitten", "sitting", 3) == 3 and pairs.within("kitten", "sitting", 2) == -1 and pairs.within("", "ab", 2) == 2
+
+
 def test_work_collected_many_times_keeps_every_pair(spark):
     t = "How dense columns shape clinical informatics: evidence from 47 archives"
     rows = [(k, "aaab"[k % 4], t, "10.1234/X.1", 2019, "Lee, Ann; Roe, Bo") for k in range(80)]
