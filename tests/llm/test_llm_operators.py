@@ -5,6 +5,7 @@ import functools
 import itertools
 import random
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -381,3 +382,34 @@ def test_queries_are_registered():
 
     assert {f"p{n}_found" for n in (2, 3, 4, 5, 6, 9, 10)} | {"p8_ids"} <= set(QUERIES)
     assert F is not None
+
+
+def test_two_letters_apart_without_a_table():
+    rng = random.Random(7)
+    for _ in range(20_000):
+        x = [rng.choice("abc") for _ in range(rng.randint(1, 7))]
+        y = x[:]
+        for _ in range(rng.randint(0, 3)):
+            at = rng.randint(0, len(y))
+            y[at : at + rng.randint(0, 1)] = rng.choice(["", "a", "b"])
+        assert pairs._within_two("".join(x), "".join(y)) == (pairs.within("".join(x), "".join(y), 2) >= 0)
+
+
+def test_values_are_those_of_the_column():
+    columns = [pa.array([1, None, 3]), pa.array([2**62, -1]), pa.array([True, None]), pa.array(["a", None, "é"]), pa.array([["a"], None, [], ["b", None]]), pa.array([["a"], ["b", "c"], []]).slice(1), pa.array([], pa.list_(pa.string())), pa.array([[1], [2**62]])]
+    for column in columns:
+        got = pairs.values(column)
+        assert got == column.to_pylist() and list(map(type, got)) == list(map(type, column.to_pylist()))
+
+
+def test_rounds_of_the_propagation_read_what_moved(spark, monkeypatch):
+    rng = random.Random(3)
+    edges = {tuple(sorted(rng.sample(range(k, k + 6), 2))): rng.choice([-6.0, -2.5, -1.0, -0.5, 0.4, 1.2, 3.0]) for k in range(0, 600, 6) for _ in range(9)}
+    df = spark.createDataFrame([(a, b, s) for (a, b), s in edges.items()], "a long, b long, score double")
+    sizes, stored = [], linkage.stored
+    monkeypatch.setattr(linkage, "stored", lambda x: (out := stored(x), sizes.append(out.count()))[0])
+    got = sorted(linkage._propagate(df).select("a", "b", "score").collect())
+    assert min(sizes) < len(edges)  # some round did not read all edges
+    monkeypatch.setattr(linkage, "STIRRED", -1)
+    sizes.clear()
+    assert got == sorted(linkage._propagate(df).select("a", "b", "score").collect()) and min(sizes) == len(edges)
