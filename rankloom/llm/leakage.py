@@ -38,11 +38,16 @@ WINDOW, HITS, LEAST = 4, 3, 15
 DENSITY = 0.72
 BLOCK = 5_000
 _BAND, _REACH = 6, 40
+#: Bytes of the marks that an index keeps of the words of its passages.
+_SPAN = int(LEAST / DENSITY)
+_MARKS = 16_000_000
 
 _LOOKALIKE = str.maketrans("асеорхуіјѕһԁԛԝАВЕКМНОРСТХУІЈЅαοντυρικ", "aceopxyijshdqwABEKMHOPCTXYIJSaovtupik")
 _TAG = re.compile(r"</?[a-zA-Z][^<>]{0,200}>|<!--.*?-->", re.S)
 _ESCAPED = re.compile(r"\\u([0-9a-fA-F]{4})|\\x([0-9a-fA-F]{2})|\\([ntr\"'/\\])")
 _TOKEN = re.compile(r"\d[\d.,]*\d|\d|[^\W\d_]+(?:['’][^\W\d_]+)*")
+_ASCII_TOKEN = re.compile(r"[0-9][0-9.,]*[0-9]|[0-9]|[A-Za-z]+(?:'[A-Za-z]+)*")
+_TO_FOLD = re.compile(r"[\x00-\x08\x0e-\x1f\x80-\U0010ffff]")
 _INVISIBLE = re.compile(r"[­​-‏⁠-⁤﻿\x00-\x08\x0e-\x1f]")
 _BROKEN = re.compile(r"(?<=\w)-\s*\r?\n\s*(?=[a-z])")
 NUMBER, UNIT, NAME = 1, 2, 3
@@ -69,13 +74,17 @@ def fold(text: str) -> str:
         text = _ESCAPED.sub(lambda m: chr(int(m[1] or m[2], 16)) if m[1] or m[2] else " " if m[3] in "ntr" else m[3], text)
     if "<" in text:
         text = _TAG.sub(lambda m: "" if m[0][1:2] in "biuBIUe/" or m[0][1:5].lower() in ("span", "stro", "mark") else " ", text)
-    text = text.replace("_", " ").replace("*", "") if text.isascii() else text.translate(_FOLDED)
+    ascii_only = text.isascii()
+    text = text.replace("_", " ").replace("*", "")
+    if not ascii_only:
+        text = _TO_FOLD.sub(lambda m: _FOLDED[ord(m[0])], text)
     return _BROKEN.sub("", text) if "-" in text and "\n" in text else text
 
 
 def tokens(text: str) -> list[str]:
     """The words and numbers of a text, their case kept."""
-    return _TOKEN.findall(fold(text))
+    text = fold(text)
+    return (_ASCII_TOKEN if text.isascii() else _TOKEN).findall(text)
 
 
 def passages(items: list[tuple[int, str]]) -> list[tuple[int, str]]:
@@ -133,22 +142,34 @@ class Text:
         n = len(self.words)
         if n < WINDOW:
             return
-        start = np.arange(n)
         power = _power(n)
         for codes, only in ((self.plain, None), (self.shape, self.named), (self.exact, None))[: 3 if bare else 2]:
             if only is not None and not only.any():
                 continue
-            literal = np.concatenate([[0], np.cumsum(codes > NAME)])
-            end = np.maximum(np.searchsorted(literal, literal[:-1] + WINDOW - 1), start + WINDOW)
-            unknown = np.concatenate([[0], np.cumsum(codes == 0)])
-            fits = end <= n
-            fits[fits] = unknown[end[fits]] == unknown[:-1][fits]
+            unknown = codes == 0
+            fits = ~unknown[: n - WINDOW + 1]
+            for k in range(1, WINDOW):
+                fits &= ~unknown[k : n - WINDOW + 1 + k]
+            at = fits.nonzero()[0]  # most windows end here: one of their first words is unknown
+            literal = _running(codes > NAME)
+            end = np.maximum(literal.searchsorted(literal[at] + (WINDOW - 1)), at + WINDOW)
+            at, end = at[end <= n], end[end <= n]
+            gone = _running(unknown)
+            fits = gone[end] == gone[at]
             if only is not None:
-                names = np.concatenate([[0], np.cumsum(only)])
-                fits[fits] = names[end[fits]] > names[:-1][fits]
-            at = start[fits]
-            total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(codes.astype(np.uint64) * _MIX * power[0][:n])])
-            yield at, (total[end[fits]] - total[at]) * power[1][at]
+                names = _running(only)
+                fits &= names[end] > names[at]
+            at, end = at[fits], end[fits]
+            if len(at):
+                total = _running(codes.astype(np.uint64) * _MIX * power[0][:n])
+                yield at, (total[end] - total[at]) * power[1][at]
+
+
+def _running(x: np.ndarray) -> np.ndarray:
+    """The sums of the entries before each place, and of all."""
+    out = np.zeros(len(x) + 1, np.uint64 if x.dtype == np.uint64 else np.int64)
+    x.cumsum(out=out[1:])
+    return out
 
 
 _MIX, _BASE = np.uint64(0x9E3779B97F4A7C15), 0xD6E8FEB86659FD93
@@ -188,9 +209,20 @@ class Index:
         self.size = np.array([len(x) for x in postings], np.int64)
         self.start = np.cumsum(self.size) - self.size
         self.posted = np.array([x for found in postings for x in found], np.int64).reshape(-1, 2)  # item number, place
-        self._member = np.zeros(len(vocabulary) + 4, bool)  # marks the words of one passage at a time
+        self._words = len(vocabulary) + 4
+        self._marks: dict[int, np.ndarray] = {}
+
+    def _has(self, n: int) -> np.ndarray:
+        """A mark for every word that passage ``n`` has; of at most ``_MARKS`` bytes in all."""
+        out = self._marks.get(n)
+        if out is None:
+            if (len(self._marks) + 1) * self._words > _MARKS:
+                self._marks.clear()
+            out = self._marks[n] = np.zeros(self._words, bool)
+            out[self.texts[n].exact] = True
+        return out
 
-    def _enough(self, n: int, first: int, last: int, diagonals: set[int], text: Text) -> bool:
+    def _enough(self, n: int, first: int, last: int, diagonals: np.ndarray, text: Text) -> bool:
         """Can a stretch around the hits have LEAST words of the passage? Counts words equal on a diagonal of the hits.
 
         A necessary condition: losses and insertions move the alignment to a neighbouring diagonal, which counts too, and
@@ -198,13 +230,11 @@ class Index:
         """
         item = self.texts[n]
         low, high = max(0, first - _REACH), min(len(text.words), last + WINDOW + _REACH)
-        self._member[item.exact] = True
-        has = self._member[text.exact[low:high]]
-        self._member[item.exact] = False
-        if not _dense(has[has | (text.shape[low:high] > NAME)]):
+        has = self._has(n)[text.exact[low:high]]
+        if np.count_nonzero(has) < LEAST or not _dense(has[has | (text.shape[low:high] > NAME)]):
             return False
         met, slot = np.zeros(high - low, bool), np.zeros(high - low, bool)
-        for diagonal in {d + j for d in diagonals for j in (-2, -1, 0, 1, 2)}:
+        for diagonal in {d + j for d in set(diagonals.tolist()) for j in (-2, -1, 0, 1, 2)}:
             # document position p stands against passage position p - diagonal
             a, b = max(low, diagonal), min(high, len(item.words) + diagonal)
             if a < b:
@@ -219,9 +249,9 @@ class Index:
             return []
         places, numbers = [], []
         for at, keys in text.windows(self.bare):
-            found = np.searchsorted(self.keys, keys)
+            found = self.keys.searchsorted(keys)
             found[found == len(self.keys)] = 0
-            hit = np.flatnonzero(self.keys[found] == keys)
+            hit = (self.keys[found] == keys).nonzero()[0]
             places.append(at[hit])
             numbers.append(found[hit])
         if sum(map(len, places)) < 1:
@@ -236,11 +266,17 @@ class Index:
         item, diagonal, at = hits >> 49, (hits >> 24 & (1 << 25) - 1) - (1 << 23), hits & (1 << 24) - 1
         cuts = np.flatnonzero((item[1:] != item[:-1]) | (diagonal[1:] - diagonal[:-1] > _BAND)) + 1
         out = []
+        met = at.tolist()
         for a, b in _spans(cuts, len(hits)):
-            near = np.sort(at[a:b])
-            for c, d in _spans(np.flatnonzero(near[1:] - near[:-1] > _REACH) + 1, b - a) if near[-1] - near[0] > _REACH else ((0, b - a),):
-                n, first, last = int(item[a]), int(near[c]), int(near[d - 1])
-                if self._enough(n, first, last, set(diagonal[a:b].tolist()), text):
+            n, near = int(item[a]), met[a:b]
+            first, last = min(near), max(near)
+            if last - first <= _REACH:
+                parts = ((first, last),)
+            else:
+                order = np.sort(at[a:b])
+                parts = [(int(order[c]), int(order[d - 1])) for c, d in _spans(np.flatnonzero(order[1:] - order[:-1] > _REACH) + 1, b - a)]
+            for first, last in parts:
+                if self._enough(n, first, last, diagonal[a:b], text):
                     out.append((n, first, last + WINDOW))
         return out
 
@@ -255,7 +291,7 @@ def _spans(cuts: np.ndarray, n: int) -> Iterator[tuple[int, int]]:
 def _dense(met: np.ndarray) -> bool:
     """Are LEAST words met somewhere within the span that DENSITY allows?"""
     at = met.nonzero()[0]
-    return len(at) >= LEAST and bool((at[LEAST - 1 :] - at[: 1 - LEAST] <= int(LEAST / DENSITY)).any())
+    return len(at) >= LEAST and bool((at[LEAST - 1 :] - at[: 1 - LEAST]).min() <= _SPAN)
 
 
 def align(item: Text, text: Text, first: int, last: int) -> tuple[int, bool]:

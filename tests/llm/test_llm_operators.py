@@ -413,3 +413,30 @@ def test_rounds_of_the_propagation_read_what_moved(spark, monkeypatch):
     monkeypatch.setattr(linkage, "STIRRED", -1)
     sizes.clear()
     assert got == sorted(linkage._propagate(df).select("a", "b", "score").collect()) and min(sizes) == len(edges)
+
+
+def test_words_of_ascii_texts():
+    rng = random.Random(9)
+    bits = ["a", "B", "_", "*", "'", "é", "\x01", "\x7f", "1", ".5", ",", " ", "-\n", "’", "＊", "1,000", "don't"]
+    for _ in range(5_000):
+        text = "".join(rng.choice(bits) for _ in range(rng.randint(1, 12)))
+        folded = leakage.fold(text)
+        assert leakage.tokens(text) == leakage._TOKEN.findall(folded)
+        assert not folded.isascii() or leakage._ASCII_TOKEN.findall(folded) == leakage._TOKEN.findall(folded)
+
+
+def test_windows_of_known_words():
+    rng = random.Random(4)
+    known = leakage._Codes({w: k + 4 for k, w in enumerate("abcd")}, set())
+    for _ in range(300):
+        text = leakage.Text([rng.choice(["a", "b", "c", "d", "x", "7", "Anna"]) for _ in range(rng.randint(1, 30))], known)
+        got = [at.tolist() for at, _ in text.windows(False)]
+        want = []
+        for codes, named in ((text.plain, None), (text.shape, text.named)):
+            places = []
+            for i in range(len(codes)):
+                ends = [j for j in range(i + leakage.WINDOW, len(codes) + 1) if (codes[i:j] > leakage.NAME).sum() >= leakage.WINDOW - 1]
+                if ends and (codes[i : ends[0]] != 0).all() and (named is None or named[i : ends[0]].any()):
+                    places.append(i)
+            want.append(places)
+        assert [x for x in got if x] == [x for x in want if x]
