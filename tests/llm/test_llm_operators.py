@@ -415,6 +415,12 @@ def test_rounds_of_the_propagation_read_what_moved(spark, monkeypatch):
     assert got == sorted(linkage._propagate(df).select("a", "b", "score").collect()) and min(sizes) == len(edges)
 
 
+def test_votes_come_from_ends_of_open_edges_only(spark):
+    edges = spark.createDataFrame([(1, 2, 3.0), (2, 3, 3.0), (4, 5, 3.0)], "a long, b long, score double")
+    got = linkage._touching(edges, spark.createDataFrame([(2,)], "node long")).collect()
+    assert {(r.a, r.b): (r.at_a, r.at_b) for r in got} == {(1, 2): (False, True), (2, 3): (True, False)}
+
+
 def test_words_of_ascii_texts():
     rng = random.Random(9)
     bits = ["a", "B", "_", "*", "'", "é", "\x01", "\x7f", "1", ".5", ",", " ", "-\n", "’", "＊", "1,000", "don't"]

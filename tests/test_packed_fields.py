@@ -1,8 +1,11 @@
 import json
+import random
+import re
 
 from hypothesis import given
 from hypothesis import strategies as st
 
+from rankloom.operators import packed_fields
 from rankloom.operators.packed_fields import author_values, issn_values, split_packed, tokenize
 
 
@@ -46,3 +49,17 @@ def test_operator(spark):
     out = {(r.row_id, r.pos): r.item for r in split_packed(df, "row_id", "authors", "authors", min_values=2).collect()}
     assert out[1, 1] == "A B" and out[1, 2] == "C D" and out[6, 2] == "A B" and out[7, 5000] == "Ann Lee" and len(out) == 5004
     assert split_packed(df.limit(0), "row_id", "authors", "authors").count() == 0
+
+
+def test_simple_lists_need_no_walk(monkeypatch):
+    rng = random.Random(2)
+    bits = ["A", "B.", "de", "Lee", '"', "'", "[", "]", ",", ";", " ", " and ", " et", "y ", " & ", "\n", "\r", "Jr", "et al.", "O'Neil", "\\", "É"]
+    texts = ["".join(rng.choices(bits, k=rng.randint(1, 12))) for _ in range(5_000)] + ["[]", '["", "Lee, A."]', "['Lee, A.', 'Roe']", '"Lee, A.";"Roe"', '"Lee""s"', " and Lee"]
+    got = [author_values(x) for x in texts]
+    with monkeypatch.context() as m:
+        m.setattr(packed_fields, "_STOP", None)  # a walk would fail
+        assert author_values("Lee, A., Roe, B. and O'Neil, C.") == ["Lee, A.", "Roe, B.", "O'Neil, C."]
+        assert author_values('["Lee, A.", "Roe, B."]') == ["Lee, A.", "Roe, B."]
+    monkeypatch.setattr(packed_fields, "_NESTING", re.compile(""))
+    monkeypatch.setattr(packed_fields, "_LISTED", ())
+    assert got == [author_values(x) for x in texts]
